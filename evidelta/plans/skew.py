@@ -1,0 +1,34 @@
+"""Splitting off heavy keys before a join."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key is heavy if it holds at least this share of the rows. There are at most 1 / HEAVY_SHARE such keys,
+#: whatever the data, so a table with one row for each of them may be broadcast.
+HEAVY_SHARE = 1 / 1000
+
+
+def heavy_keys(counts: DataFrame, key: str, n: str = "n", share: float = HEAVY_SHARE) -> DataFrame:
+    """Keys of ``counts`` (one row or several for a key, ``n`` rows each) with at least ``share`` of all rows.
+
+    Null keys never count. The result has one column, ``key``, and at most ``1 / share`` rows.
+    """
+    by_key = counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(n).alias("_n"))
+    total = by_key.agg(F.sum("_n").alias("_total"))
+    # one row, so this nested-loop join is a scalar lookup
+    return by_key.join(F.broadcast(total)).where(F.col("_n") >= F.greatest(F.lit(2), F.col("_total") * share)).select(key)
+
+
+def lookup_skewed(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """``rows`` left-joined to ``table`` (unique ``key``), heavy keys by broadcast, the others by shuffle.
+
+    Rows of a heavy key never meet in one task; rows with a null key stay, with nulls from ``table``.
+    """
+    light_marks = F.broadcast(heavy.select(F.col(key).alias("_hk"), F.lit(True).alias("_heavy")))
+    marked = rows.join(light_marks, F.col(key) == F.col("_hk"), "left").drop("_hk")
+    heavy_table = heavy.select(key).join(table, key, "inner")
+    hot = marked.where(F.col("_heavy")).drop("_heavy").join(F.broadcast(heavy_table), key, "left")
+    rest = marked.where(F.col("_heavy").isNull()).drop("_heavy").join(table, key, "left")
+    return hot.unionByName(rest)
