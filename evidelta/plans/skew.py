@@ -22,13 +22,18 @@ def heavy_keys(counts: DataFrame, key: str, n: str = "n", share: float = HEAVY_S
 
 
 def lookup_skewed(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
-    """``rows`` left-joined to ``table`` (unique ``key``), heavy keys by broadcast, the others by shuffle.
+    """``rows`` left-joined to ``table`` (unique ``key``), heavy keys by broadcast, the others by shuffle, in one pass.
 
-    Rows of a heavy key never meet in one task; rows with a null key stay, with nulls from ``table``.
+    Rows of a heavy key find their match in the broadcast and go through the shuffle under a null key and a salt made
+    of their own values, so they never meet in one task. Rows with a null key stay, with nulls from ``table``.
     """
-    light_marks = F.broadcast(heavy.select(F.col(key).alias("_hk"), F.lit(True).alias("_heavy")))
-    marked = rows.join(light_marks, F.col(key) == F.col("_hk"), "left").drop("_hk")
-    heavy_table = heavy.select(key).join(table, key, "inner")
-    hot = marked.where(F.col("_heavy")).drop("_heavy").join(F.broadcast(heavy_table), key, "left")
-    rest = marked.where(F.col("_heavy").isNull()).drop("_heavy").join(table, key, "left")
-    return hot.unionByName(rest)
+    columns = [c for c in table.columns if c != key]
+    hot = heavy.join(table, key, "left").select(F.col(key).alias("_hk"), F.lit(True).alias("_heavy"), *[F.col(c).alias(f"_h_{c}") for c in columns])
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").drop("_hk")
+    alone = F.col("_heavy") | F.col(key).isNull()
+    salt = F.when(alone, F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 16))).otherwise(F.lit(0)).cast("int")
+    marked = marked.withColumns({"_lk": F.when(~F.coalesce(alone, F.lit(False)), F.col(key)), "_ls": salt})
+    # pmod by 1 is always 0; a plain 0 would be folded away, and with it the salt as a key of the shuffle
+    right = table.select(F.col(key).alias("_lk"), F.pmod(F.hash(key), F.lit(1)).alias("_ls"), *[F.col(c).alias(f"_t_{c}") for c in columns])
+    found = marked.join(right, ["_lk", "_ls"], "left")
+    return found.select(*rows.columns, *[F.when(F.col("_heavy"), F.col(f"_h_{c}")).otherwise(F.col(f"_t_{c}")).alias(c) for c in columns])
