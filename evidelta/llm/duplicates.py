@@ -35,7 +35,7 @@ from evidelta.session import cut, stored
 
 _ASCII_REST = bytes(b for b in range(128) if not chr(b).isalnum())
 #: Variation selectors and other marks that show nothing.
-_HIDDEN = r"︀-️͏ᅟᅠ឴឵᠋-᠏ㅤﾠ"
+_HIDDEN = "\ufe00-\ufe0f\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\uffa0"
 _REST = regex.compile(rf"[^\p{{L}}\p{{N}}\p{{M}}]+|[{_HIDDEN}]")
 _INVISIBLE = regex.compile(rf"[\p{{Cf}}{_HIDDEN}]+")
 #: An ordinal of a reporter's series, like 2d, belongs to the reporter's name.

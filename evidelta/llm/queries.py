@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidelta.functions.jsonread import readable_object, scalar_text
-from evidelta.llm import duplicates
+from evidelta.llm import duplicates, leakage
 from evidelta.session import load, ship_package
 
 
@@ -62,5 +62,25 @@ def p1_copies(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.groups(_p1_records(spark, sf)).select(F.col("_table").alias("table_name"), "first_id", "copies")
 
 
-QUERIES = {"p1_found": p1_found, "p1_copies": p1_copies}
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+    return leakage.leaks(load(spark, sf, "documents"), "doc_id", "text", load(spark, sf, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).where(F.col("windows") > 0).select("item_id", "doc_id")
+
+
+def p7_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item that leaked, with its suite and split, the number of documents, and the most windows one of them holds."""
+    found = _leaks(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("near").alias("most_windows"))
+    return load(spark, sf, "eval_items").select("item_id", "suite", "split").join(found, "item_id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_copies": p1_copies,
+    "p7_found": p7_found,
+    "p7_leaked_items": p7_leaked_items,
+}
 SQL: dict[str, str] = {}
