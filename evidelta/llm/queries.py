@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidelta.functions.jsonread import readable_object, scalar_text
-from evidelta.llm import duplicates, leakage
+from evidelta.functions.text import fold_value
+from evidelta.llm import duplicates, leakage, overlaps
 from evidelta.session import load, ship_package
 
 
@@ -62,6 +63,26 @@ def p1_copies(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.groups(_p1_records(spark, sf)).select(F.col("_table").alias("table_name"), "first_id", "copies")
 
 
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+    c = F.col
+    heldout = load(spark, sf, "heldout").where((c("item_kind") == "pair") & c("pair_id").isNotNull()).select(c("pair_id").alias("heldout_pair_id"), "split", c("claim").alias("heldout_claim"))
+    pairs = load(spark, sf, "pairs").where(c("pair_id").isNotNull()).select("pair_id", "citation", "claim")
+    return overlaps.overlaps(heldout, "heldout_claim", pairs, "claim")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _overlaps(spark, sf).select("heldout_pair_id", "pair_id").distinct()
+
+
+def p3_overlap_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlapping pairs per split (case and surrounding whitespace ignored) and citation (its parts in any order, shown in its least spelling)."""
+    form = F.pandas_udf(lambda texts: pd.Series([(n[0] if (n := duplicates.citation_node("citation", t)) else None) for t in texts], dtype=object), "string")
+    found = _overlaps(spark, sf).withColumns({"split": fold_value(F.col("split"), None), "_form": form("citation")})
+    pairs = found.groupBy("split", "_form", "heldout_pair_id", "pair_id").agg(F.min("citation").alias("citation"))
+    return pairs.groupBy("split", "_form").agg(F.min("citation").alias("citation"), F.count(F.lit(1)).alias("overlaps")).drop("_form")
+
+
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
     ship_package(spark)
     return leakage.leaks(load(spark, sf, "documents"), "doc_id", "text", load(spark, sf, "eval_items"), "item_id", "text")
@@ -80,6 +101,8 @@ def p7_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_copies": p1_copies,
+    "p3_found": p3_found,
+    "p3_overlap_counts": p3_overlap_counts,
     "p7_found": p7_found,
     "p7_leaked_items": p7_leaked_items,
 }

@@ -1,0 +1,43 @@
+import random
+from collections import Counter
+
+import __spark_entry__
+from evidelta.llm.words import case_words
+
+
+def rule(a, b):
+    x, y = Counter(case_words(a)), Counter(case_words(b))
+    n = max(sum(x.values()), sum(y.values()))
+    return min(sum(x.values()), sum(y.values())) >= 6 and 5 * sum((x & y).values()) >= 4 * n
+
+
+def test_overlaps_as_by_brute_force(spark, tmp_path):
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(30)] + [f"n{i}" for i in range(3000)]
+    claim = lambda n: [r.choice(vocabulary[:30] if r.random() < 0.8 else vocabulary) for _ in range(n)]
+    base = [claim(r.choice([5, 6, 7, 12, 30, 31, 50, 64, 65, 66, 80, 120])) for _ in range(150)]
+
+    def changed(words):
+        words = list(words)
+        for _ in range(r.randrange(0, len(words) // 4 + 2)):
+            k = r.randrange(3)
+            if k == 0 and len(words) > 1:
+                words.pop(r.randrange(len(words)))
+            elif k == 1:
+                words.insert(r.randrange(len(words) + 1), r.choice(vocabulary))
+            else:
+                words[r.randrange(len(words))] = r.choice(vocabulary)
+        r.shuffle(words)
+        return ", ".join(words).upper()
+
+    heldout = [("pair", f"H{i}", " ".join(w), ["test", " Test", None][i % 3]) for i, w in enumerate(base)] + [("pair", None, " ".join(base[0]), "test"), ("relation", "R", " ".join(base[0]), "test"), ("pair", "HN", None, "test")]
+    pairs = [(f"P{i}.{k}", changed(w), ["1 A. 2", "1 a 2", None][i % 3]) for i, w in enumerate(base) for k in range(3)] + [("PN", None, "1 A. 2"), (None, " ".join(base[0]), "1 A. 2")]
+    spark.createDataFrame(heldout, "item_kind string, pair_id string, claim string, split string").write.parquet(f"{tmp_path}/heldout.parquet")
+    spark.createDataFrame(pairs, "pair_id string, claim string, citation string").write.parquet(f"{tmp_path}/pairs.parquet")
+    want = {(h[1], p[0]) for h in heldout if h[0] == "pair" and h[1] for p in pairs if p[0] and rule(h[2], p[1])}
+    rows = __spark_entry__.queries()["p3_found"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(set(rows)) and {tuple(x) for x in rows} == want and len(want) > 100
+
+    counts = {(x.split, x.citation): x.overlaps for x in __spark_entry__.queries()["p3_overlap_counts"](spark, str(tmp_path)).collect()}
+    split, cited = {h[1]: h[3] and h[3].strip().lower() for h in heldout}, {p[0]: p[2] and "1 A. 2" for p in pairs}
+    assert counts == Counter((split[h], cited[p]) for h, p in want)
