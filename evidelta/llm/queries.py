@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from evidelta.functions.jsonread import readable_object, scalar_text
 from evidelta.functions.text import fold_value
-from evidelta.llm import duplicates, leakage, overlaps
-from evidelta.session import load, ship_package
+from evidelta.llm import duplicates, leakage, overlaps, tokens
+from evidelta.session import load, ship_package, spread
 
 
 def _extracted(texts: pd.Series) -> pd.DataFrame:
@@ -83,6 +83,17 @@ def p3_overlap_counts(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("split", "_form").agg(F.min("citation").alias("citation"), F.count(F.lit(1)).alias("overlaps")).drop("_form")
 
 
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
+
+    def encode(texts: pd.Series) -> pd.Series:
+        tokenizer = tokens.public("byte_bpe_50k")
+        return pd.Series([tokenizer.ids(t) for t in texts], dtype=object)
+
+    ids = F.pandas_udf(encode, "array<int>")
+    return spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", ids("text").alias("ids"))
+
+
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
     ship_package(spark)
     return leakage.leaks(load(spark, sf, "documents"), "doc_id", "text", load(spark, sf, "eval_items"), "item_id", "text")
@@ -103,6 +114,7 @@ QUERIES = {
     "p1_copies": p1_copies,
     "p3_found": p3_found,
     "p3_overlap_counts": p3_overlap_counts,
+    "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_leaked_items": p7_leaked_items,
 }
