@@ -13,8 +13,8 @@ Groups are formed by partial aggregation before the shuffle. The way back from a
 groups (a thousandth of all rows or more, so at most a thousand of them) off to a broadcast, and no group is ever
 gathered in one task.
 
-Defined results for odd input: a null or blank compared field (blank also if nothing but punctuation) means no copies;
-rows are counted as they stand, so a row repeated with its id adds to the copies but is no copy of itself; extra
+Defined results for odd input: a row with a null or blank compared field (blank also if nothing but punctuation) has no
+copies and is a group of its own; rows are counted as they stand, so a row repeated with its id adds to the copies but is no copy of itself; extra
 columns are ignored; empty tables have no groups.
 """
 
@@ -126,9 +126,9 @@ def record_node(table: str, kinds: list[tuple[str, str]], values: tuple) -> tupl
 
 
 def records(df: DataFrame, table: str, row_id: str, fields: list[tuple[str, str, Column]]) -> DataFrame:
-    """``_table``, ``_id``, ``_root`` and ``_shape`` of the rows that have all compared fields: (name, kind, text column).
+    """``_table``, ``_id``, ``_root`` and ``_shape`` of all rows with an id; fields: (name, kind, text column).
 
-    The root digest holds the table's name, so records of several tables can be grouped together.
+    ``_root`` and ``_shape`` are null where a compared field is null or blank, so that the row stands alone. The root digest holds the table's name, so records of several tables can be grouped together.
     """
     kinds = [(n, k) for n, k, _ in fields]
 
@@ -138,18 +138,22 @@ def records(df: DataFrame, table: str, row_id: str, fields: list[tuple[str, str,
 
     node = F.pandas_udf(make, "root string, shape string")(*[c.cast("string") for _, _, c in fields])
     made = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("bigint").alias("_id"), node.alias("_node"))
-    kept = made.select(F.lit(table).alias("_table"), "_id", F.col("_node.root").alias("_root"), F.col("_node.shape").alias("_shape"))
-    return kept.where(F.col("_root").isNotNull())
+    return made.select(F.lit(table).alias("_table"), "_id", F.col("_node.root").alias("_root"), F.col("_node.shape").alias("_shape"))
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """One row for each group of equal records: ``_table``, ``_root``, ``_shape``, ``first_id``, ``copies``."""
-    return rows.groupBy("_table", "_root", "_shape").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    """One row for each group of equal records: ``_table``, ``_root``, ``_shape``, ``first_id``, ``copies``.
+
+    Rows without a root are groups of their own, keyed by their id.
+    """
+    alone = F.when(F.col("_root").isNull(), F.col("_id")).alias("_alone")
+    grouped = rows.groupBy("_table", "_root", "_shape", alone).agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    return grouped.withColumn("copies", F.when(F.col("_root").isNull(), F.lit(1).cast("bigint")).otherwise(F.col("copies"))).drop("_alone")
 
 
 def members(rows: DataFrame) -> DataFrame:
     """``table_name``, ``first_id`` and ``copy_id`` of every member of a group but its first."""
-    rows = stored(rows)  # read twice; the normalisation is the dear part
+    rows = stored(rows.where(F.col("_root").isNotNull()))  # read twice; the normalisation is the dear part
     group = cut(groups(rows).where(F.col("copies") > 1))
     # a root digest leads to the structures under it, of which there is one unless digests collide
     table = group.groupBy("_root").agg(F.collect_list(F.struct("_shape", "first_id")).alias("_of"))

@@ -32,7 +32,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _p1_records(spark: SparkSession, sf: str) -> DataFrame:
-    """The comparable records of all tables."""
+    """The records of all tables."""
     ship_package(spark)
     c = F.col
     heldout = load(spark, sf, "heldout").where(c("item_kind") == "relation")
@@ -59,7 +59,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_copies(spark: SparkSession, sf: str) -> DataFrame:
-    """One row for each group of the comparable records, also those that stand alone, with the number of copies."""
+    """One row for each group of records, also those that stand alone or can't be compared, with the number of copies."""
     return duplicates.groups(_p1_records(spark, sf)).select(F.col("_table").alias("table_name"), "first_id", "copies")
 
 

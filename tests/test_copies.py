@@ -1,0 +1,14 @@
+import __spark_entry__
+
+
+def test_records_that_cant_be_compared_are_kept(spark, tmp_path):
+    authority = "struct<citation: string>"
+    rows = [(1, "A claim", ("1 A. 2",)), (2, "a  claim!", ("1 A. 2",)), (3, None, ("1 A. 2",)), (4, None, ("1 A. 2",)), (5, "A claim", (" ",)), (6, "A claim", None)]
+    spark.createDataFrame(rows, f"rec_id bigint, claim string, authority {authority}").write.parquet(f"{tmp_path}/baseline.parquet")
+    relations = [(1, "relation", None, "1 A. 2", "x"), (2, "pair", "1 A. 2", "1 A. 2", "x")]
+    spark.createDataFrame(relations, "heldout_id bigint, item_kind string, source_citation string, target_citation string, anchor string").write.parquet(f"{tmp_path}/heldout.parquet")
+    spark.createDataFrame([(1, "C", "{"), (2, "C", "{")], "prediction_id bigint, challenge_id string, extraction string").write.parquet(f"{tmp_path}/predictions.parquet")
+    queries = __spark_entry__.queries()
+    copies = sorted(tuple(x) for x in queries["p1_copies"](spark, str(tmp_path)).collect())
+    assert copies == [("baseline", 1, 2), ("baseline", 3, 1), ("baseline", 4, 1), ("baseline", 5, 1), ("baseline", 6, 1), ("heldout", 1, 1), ("predictions", 1, 1), ("predictions", 2, 1)]
+    assert [tuple(x) for x in queries["p1_found"](spark, str(tmp_path)).collect()] == [("baseline", 1, 2)]
