@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidelta.functions.jsonread import readable_object, scalar_text
 from evidelta.functions.text import fold_value
-from evidelta.llm import duplicates, leakage, overlaps, tokens
+from evidelta.llm import duplicates, leakage, overlaps, personal, tokens
 from evidelta.session import load, ship_package, spread
 
 
@@ -109,6 +109,36 @@ def p7_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "eval_items").select("item_id", "suite", "split").join(found, "item_id")
 
 
+def _personal(spark: SparkSession, sf: str, rows: str, make) -> DataFrame:
+    """``make(model, doc_id, text)`` gives the rows of a document; the model, a few thousand weights, is broadcast."""
+    ship_package(spark)
+    model = spark.sparkContext.broadcast(personal.model())
+
+    def scan(batches):
+        field = model.value
+        for batch in batches:
+            out = [row for doc, text in zip(batch["doc_id"], batch["text"]) for row in make(field, doc, text)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in rows.split(", ")])
+
+    docs = load(spark, sf, "documents").where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    return spread(docs, "doc_id").mapInPandas(scan, rows)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Kind and first character of every mention of personal data."""
+    return _personal(spark, sf, "doc_id bigint, kind string, start_at bigint", lambda field, doc, text: [(doc, kind, start) for start, _, kind, _ in field.mentions(text)]).distinct()
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal data; null and empty texts stay as they are."""
+    return _personal(spark, sf, "doc_id bigint, text string", lambda field, doc, text: [(doc, personal.redact(text, field.mentions(text)))])
+
+
+def p8_mention_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions of each kind and the documents that hold them."""
+    return p8_found(spark, sf).groupBy("kind").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc_id").alias("documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_copies": p1_copies,
@@ -117,5 +147,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_leaked_items": p7_leaked_items,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
+    "p8_mention_counts": p8_mention_counts,
 }
 SQL: dict[str, str] = {}
