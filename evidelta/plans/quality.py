@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidelta.functions.text import WHITESPACE, fold_value
 from evidelta.operators.comparison import differences
-from evidelta.operators.nested import dewey_nodes, place, table_of
+from evidelta.operators import nested
 from evidelta.operators.references import orphan_counts, orphan_rows
 from evidelta.session import load, ship_package
 
@@ -72,40 +72,62 @@ SELECT case_id, 'missing_in_candidate' AS finding FROM j WHERE nc UNION ALL SELE
 UNION ALL SELECT case_id, 'support' FROM j WHERE dsu UNION ALL SELECT case_id, 'authority.status' FROM j WHERE dst UNION ALL SELECT case_id, 'authority.treatment' FROM j WHERE dtr"""
 
 
-#: Schema paths of the child objects, each of which may stand alone in place of an array.
-CHILDREN = {"$.target_authority": "target_authority", "$.evidence_spans": "evidence_span", "$.evidence_spans[].alternates": "alternate"}
+TARGET, SPAN, ALTERNATE = ("target_authority", "[]"), ("evidence_spans", "[]"), ("evidence_spans", "[]", "alternates", "[]")
+#: Name of each child table's rows in p5_found.
+CHILDREN = {TARGET: "target_authority", SPAN: "evidence_span", ALTERNATE: "alternate"}
+#: Scalar columns of each table.
+FIELDS = {
+    (): ["proposition", "proposition_owner", "current_court_stance", "treatment", "claim_consequence", "confidence", "abstain", "abstention_reason"],
+    TARGET: ["name", "citation", "resolved"],
+    SPAN: ["text", "role"],
+    ALTERNATE: ["text", "role"],
+}
 
 
-def _nodes(spark: SparkSession, sf: str, paths: list[str]) -> DataFrame:
+def _objects(spark: SparkSession, sf: str, paths: list[tuple[str, ...]]) -> DataFrame:
+    """The objects at ``paths``; each child path may hold one object in place of an array."""
     ship_package(spark)
-    return dewey_nodes(load(spark, sf, "predictions"), "prediction_id", "extraction", list(CHILDREN), paths)
+    return nested.objects(load(spark, sf, "predictions"), "prediction_id", "extraction", [p[:-1] for p in CHILDREN], paths)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = _nodes(spark, sf, [f"{p}[]" for p in CHILDREN]).where(F.col("kind") == "object")
-    path, label = F.col("schema_path"), F.col("label")
-    child = F.create_map(*[F.lit(x) for p, c in CHILDREN.items() for x in (f"{p}[]", c)])
-    nested = path == "$.evidence_spans[].alternates[]"
-    rows = nodes.select(
+    rows = _objects(spark, sf, list(CHILDREN))
+    place = lambda label: F.element_at(F.split(label, r"\."), -1).cast("int")
+    parts = F.when(nested.at(TARGET), F.lit("target_authority")).when(nested.at(SPAN), F.lit("evidence_span")).otherwise(F.lit("alternate"))
+    inner = nested.at(ALTERNATE)
+    return rows.select(
         F.col("row_id").alias("prediction_id"),
-        child[path].alias("child"),
-        F.when(nested, F.element_at(label, -3)).otherwise(place(label)).alias("pos"),
-        F.when(nested, place(label)).otherwise(F.lit(-1)).alias("sub_pos"),
+        parts.alias("child"),
+        F.when(inner, place(F.col("parent_label"))).otherwise(F.col("pos")).alias("pos"),
+        F.when(inner, F.col("pos")).otherwise(F.lit(-1)).alias("sub_pos"),
     )
-    return rows.distinct()
 
 
-def _table(path: str, fields: list[str]):
+def _table(path: tuple[str, ...]):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        nodes = _nodes(spark, sf, [path, *[f"{path}.{f}" for f in fields]])
-        return table_of(nodes, path, fields).withColumnRenamed("row_id", "prediction_id")
+        return nested.table(_objects(spark, sf, [path]), path, FIELDS[path]).withColumnRenamed("row_id", "prediction_id")
 
     return query
 
 
-p5_target_authorities = _table("$.target_authority[]", ["name", "citation", "resolved"])
-p5_evidence_spans = _table("$.evidence_spans[]", ["text", "role"])
-p5_alternates = _table("$.evidence_spans[].alternates[]", ["text", "role"])
+p5_predictions = _table(())
+p5_target_authorities = _table(TARGET)
+p5_evidence_spans = _table(SPAN)
+p5_alternates = _table(ALTERNATE)
+
+
+def p5_other_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Members that none of the tables has a column for, so that nothing of a record is lost."""
+    rows = _objects(spark, sf, list(FIELDS))
+    own_tables = {(): ["target_authority", "evidence_spans"], SPAN: ["alternates"]}
+    return nested.other_members(rows, {p: f + own_tables.get(p, []) for p, f in FIELDS.items()}).withColumnRenamed("row_id", "prediction_id")
+
+
+def p5_unreadable(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions whose extraction is no complete object, which therefore have no row in any table."""
+    ship_package(spark)
+    return nested.unreadable(load(spark, sf, "predictions"), "prediction_id", "extraction").withColumnRenamed("row_id", "prediction_id")
+
 
 _READABLE = """t AS (SELECT prediction_id, try_cast(extraction AS JSON) AS x FROM predictions),
 u AS (SELECT prediction_id, CASE WHEN json_type(x) = 'VARCHAR' THEN try_cast(x ->> '$' AS JSON) ELSE x END AS x FROM t),
@@ -124,15 +146,46 @@ SELECT DISTINCT * FROM (SELECT prediction_id, 'target_authority' AS child, CAST(
 UNION ALL SELECT prediction_id, 'evidence_span', CAST(pos AS INTEGER), CAST(-1 AS INTEGER) FROM so
 UNION ALL SELECT prediction_id, 'alternate', CAST(pos AS INTEGER), CAST(i AS INTEGER) FROM al WHERE json_type(x) = 'OBJECT')"""
 
+
+
+def _place_sql(record: str, member: str) -> str:
+    """A member's ordinal in its object."""
+    return f"list_position(json_keys({record}), '{member}') - 1"
+
+
+def _scalar_sql(record: str, member: str) -> str:
+    return f"CASE WHEN json_type({record}, '$.{member}') IN ('OBJECT', 'ARRAY') THEN NULL ELSE {record} ->> '$.{member}' END AS {member}"
+
+
+def _child_sql(source: str, name: str, label: str) -> str:
+    """Objects in member ``name`` of the objects x of ``source``, with the labels of both."""
+    value = f"json_extract(x, '$.{name}')"
+    listed = f"CASE json_type({value}) WHEN 'OBJECT' THEN [{value}] WHEN 'ARRAY' THEN from_json({value}, '[\"JSON\"]') ELSE [] END"
+    under = f"SELECT prediction_id, {label} AS parent_label, {_place_sql('x', name)} AS place, unnest({listed}) AS x, generate_subscripts({listed}, 1) - 1 AS pos FROM {source}"
+    return f"SELECT prediction_id, parent_label, concat_ws('.', nullif(parent_label, ''), place, pos) AS label, CAST(pos AS INTEGER) AS pos, x FROM ({under}) WHERE json_type(x) = 'OBJECT'"
+
+
+_P5_TABLES = f"""WITH {_READABLE}, ta AS ({_child_sql("r", "target_authority", "''")}), es AS ({_child_sql("r", "evidence_spans", "''")}), al AS ({_child_sql("es", "alternates", "label")})"""
+
+
+def _table_sql(name: str, path: tuple[str, ...]) -> str:
+    cells = ", ".join(_scalar_sql("x", f) for f in FIELDS[path])
+    own = "'' AS label, CAST(NULL AS VARCHAR) AS parent_label, CAST(0 AS INTEGER) AS pos" if not path else "label, parent_label, pos"
+    return f"{_P5_TABLES} SELECT prediction_id, {own}, {cells} FROM {name}"
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_orphans_by_month": p2_orphans_by_month,
     "p4_found": p4_found,
     "p4_difference_counts": p4_difference_counts,
     "p5_found": p5_found,
+    "p5_predictions": p5_predictions,
     "p5_target_authorities": p5_target_authorities,
     "p5_evidence_spans": p5_evidence_spans,
     "p5_alternates": p5_alternates,
+    "p5_other_members": p5_other_members,
+    "p5_unreadable": p5_unreadable,
 }
 
 SQL = {
@@ -141,4 +194,9 @@ SQL = {
     "p4_found": _P4_SQL,
     "p4_difference_counts": f"SELECT finding, count(*) AS cases FROM ({_P4_SQL}) GROUP BY finding",
     "p5_found": _P5_SQL,
+    "p5_predictions": _table_sql("r", ()),
+    "p5_target_authorities": _table_sql("ta", TARGET),
+    "p5_evidence_spans": _table_sql("es", SPAN),
+    "p5_alternates": _table_sql("al", ALTERNATE),
+    "p5_unreadable": f"WITH {_READABLE} SELECT prediction_id FROM predictions WHERE prediction_id NOT IN (SELECT prediction_id FROM r)",
 }
