@@ -71,7 +71,7 @@ def differences(
     """``key`` and ``finding``: rows missing on a side, and each of ``fields`` whose (normalised) values differ."""
     places = {f"f{i}": c for i, c in enumerate(fields.values())}
     a, b = latest(left, key, places, order), latest(right, key, places, order)
-    rows = left.count() + right.count()  # footers only
+    rows = left.count() + right.count()  # a scan of the columns that the callers filter by, if any; else of the footers
     spark = left.sparkSession
     buckets = max(-(-rows // BUCKET_KEYS), int(spark.conf.get("spark.sql.shuffle.partitions")))
     bucket = F.pmod(F.xxhash64("_key"), F.lit(buckets)).alias("_bucket")
