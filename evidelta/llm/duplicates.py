@@ -2,20 +2,19 @@
 
 Merkle-style bottom-up hashing: every compared field of a record becomes a digest. A leaf is normalised to its letters
 and digits; a citation is an unordered node whose children (the volume-reporter-page unit, which keeps its order, the
-court and the year) are digested first and sorted; the record is an ordered node of its named fields. Records with one
-root digest are grouped, and a full comparison of the normalised structures confirms them: the structure is part of the
-grouping key, so unequal structures under one digest fall apart.
+court and the year) are digested first and sorted; the record is an ordered node of its named fields. Records are grouped
+by root digest, 16 bytes, alone, with partial aggregation before the shuffle. A full comparison of the normalised
+structures then confirms the groups of several records, whose structures alone are shuffled for it; unequal structures
+under one digest fall apart into groups of their own.
 
-The digests are made in Arrow batches: the patterns of Unicode classes that they need run several times faster in
-Python than in the JVM, and a Python step keeps Catalyst from repeating them in a pushed-down filter.
-
-Groups are formed by partial aggregation before the shuffle. The way back from a group to its members splits heavy
-groups (a thousandth of all rows or more, so at most a thousand of them) off to a broadcast, and no group is ever
-gathered in one task.
+The digests are made in one Arrow step, whose result is written once: the patterns of Unicode classes that they need run
+several times faster in Python than in the JVM. The way back from a group to its members sends digests and ids only, and
+answers heavy groups (a thousandth of all rows or more, so at most a thousand of them) from a broadcast of 24 bytes
+each; no group is ever gathered in one task.
 
 Defined results for odd input: a row with a null or blank compared field (blank also if nothing but punctuation) has no
-copies and is a group of its own; rows are counted as they stand, so a row repeated with its id adds to the copies but is no copy of itself; extra
-columns are ignored; empty tables have no groups.
+copies and is a group of its own; rows are counted as they stand, so a row repeated with its id adds to the copies but is
+no copy of itself; extra columns are ignored; empty tables have no groups.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidelta.plans.skew import heavy_keys, lookup_skewed
+from evidelta.operators.skew import heavy_keys, lookup_skewed
 from evidelta.session import cut, stored
 
 _ASCII_REST = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -97,7 +96,7 @@ def citation_parts(text: str | None) -> tuple[str, str, str] | None:
 
 
 def digest(*parts: str) -> str:
-    """The digest of a node with these children, in this order."""
+    """The digest of a node with these children, in this order, in hexadecimal."""
     data = "".join([f"{len(p)}:{p}" for p in parts]).encode("utf-8", "surrogatepass")
     return hashlib.blake2b(data, digest_size=16).hexdigest()
 
@@ -125,40 +124,57 @@ def record_node(table: str, kinds: list[tuple[str, str]], values: tuple) -> tupl
     return digest(table, *children), "".join([f"{len(p)}:{p}" for p in shape])
 
 
-def records(df: DataFrame, table: str, row_id: str, fields: list[tuple[str, str, Column]]) -> DataFrame:
+def records(df: DataFrame, table: str, row_id: str, fields: list[tuple[str, str, Column]], opened=None) -> DataFrame:
     """``_table``, ``_id``, ``_root`` and ``_shape`` of all rows with an id; fields: (name, kind, text column).
 
-    ``_root`` and ``_shape`` are null where a compared field is null or blank, so that the row stands alone. The root digest holds the table's name, so records of several tables can be grouped together.
+    ``_root`` and ``_shape`` are null where a compared field is null or blank, so that the row stands alone. The root digest
+    holds the table's name, so records of several tables can be grouped together. ``opened``: makes the compared values of a
+    row from those of the columns, in the same step.
     """
     kinds = [(n, k) for n, k, _ in fields]
+    columns = [f"_{i}" for i in range(len(fields))]
 
-    def make(*columns: pd.Series) -> pd.DataFrame:
-        rows = zip(*(c.where(c.notna(), None) for c in columns))
-        return pd.DataFrame([record_node(table, kinds, r) for r in rows], columns=["root", "shape"])
+    def make(batches):
+        for batch in batches:
+            out = []
+            for row in zip(batch["_id"], *[batch[c] for c in columns if c in batch]):
+                values = opened(*row[1:]) if opened else row[1:]
+                root, shape = record_node(table, kinds, values)
+                out.append((row[0], None if root is None else bytes.fromhex(root), shape))
+            yield pd.DataFrame(out, columns=["_id", "_root", "_shape"])
 
-    node = F.pandas_udf(make, "root string, shape string")(*[c.cast("string") for _, _, c in fields])
-    made = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("bigint").alias("_id"), node.alias("_node"))
-    return made.select(F.lit(table).alias("_table"), "_id", F.col("_node.root").alias("_root"), F.col("_node.shape").alias("_shape"))
+    made = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("bigint").alias("_id"), *[c.cast("string").alias(f"_{i}") for i, (_, _, c) in enumerate(fields) if c is not None])
+    return made.mapInPandas(make, "_id bigint, _root binary, _shape string").select(F.lit(table).alias("_table"), "*")
 
 
-def groups(rows: DataFrame) -> DataFrame:
-    """One row for each group of equal records: ``_table``, ``_root``, ``_shape``, ``first_id``, ``copies``.
+def _confirmed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the stored ``rows``: groups by digest alone (``_table``, ``_root``, ``first_id``, ``copies``), and those of several rows that a full comparison confirms, with their ``_shape``."""
+    digests = rows.where(F.col("_root").isNotNull()).groupBy("_table", "_root").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    several = cut(digests.where(F.col("copies") > 1))
+    heavy = heavy_keys(several.select("_root", F.col("copies").alias("n")), "_root")
+    suspects = lookup_skewed(rows.where(F.col("_root").isNotNull()), several.select("_root"), "_root", heavy)
+    return digests, suspects.groupBy("_table", "_root", "_shape").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
 
-    Rows without a root are groups of their own, keyed by their id.
-    """
-    alone = F.when(F.col("_root").isNull(), F.col("_id")).alias("_alone")
-    grouped = rows.groupBy("_table", "_root", "_shape", alone).agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    return grouped.withColumn("copies", F.when(F.col("_root").isNull(), F.lit(1).cast("bigint")).otherwise(F.col("copies"))).drop("_alone")
+
+def groups(rows: DataFrame) -> DataFrame:
+    """One row for each group of equal records: ``_table``, ``first_id``, ``copies``. Rows without a root are groups of their own, keyed by their id."""
+    rows = stored(rows)  # read several times; the normalisation is the dear part
+    digests, confirmed = _confirmed(rows)
+    alone = rows.where(F.col("_root").isNull()).select("_table", F.col("_id").alias("first_id")).distinct().withColumn("copies", F.lit(1).cast("bigint"))
+    own = ["_table", "first_id", "copies"]
+    return alone.unionByName(digests.where(F.col("copies") == 1).select(own)).unionByName(confirmed.select(own))
 
 
 def members(rows: DataFrame) -> DataFrame:
     """``table_name``, ``first_id`` and ``copy_id`` of every member of a group but its first."""
-    rows = stored(rows.where(F.col("_root").isNotNull()))  # read twice; the normalisation is the dear part
-    group = cut(groups(rows).where(F.col("copies") > 1))
-    # a root digest leads to the structures under it, of which there is one unless digests collide
-    table = group.groupBy("_root").agg(F.collect_list(F.struct("_shape", "first_id")).alias("_of"))
-    heavy = heavy_keys(group.select("_root", F.col("copies").alias("n")), "_root")
-    found = lookup_skewed(rows, table, "_root", heavy).where(F.col("_of").isNotNull())
-    same = F.filter("_of", lambda g: g["_shape"] == F.col("_shape"))
-    pairs = found.select(F.col("_table").alias("table_name"), F.get(same, F.lit(0))["first_id"].alias("first_id"), F.col("_id").alias("copy_id"))
-    return pairs.where(F.col("first_id") != F.col("copy_id")).distinct()
+    rows = stored(rows.where(F.col("_root").isNotNull()))  # read several times; the normalisation is the dear part
+    confirmed = cut(_confirmed(rows)[1])
+    # unequal structures under one digest: none, unless the digest is broken; their rows are told apart by the structure
+    broken = confirmed.groupBy("_root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("_root")
+    table = confirmed.where(F.col("copies") > 1).select("_root", "first_id", "copies")
+    plain = table.join(broken, "_root", "left_anti")
+    heavy = heavy_keys(plain.select("_root", F.col("copies").alias("n")), "_root")
+    found = lookup_skewed(rows.select("_table", "_id", "_root"), plain.select("_root", "first_id"), "_root", heavy)
+    apart = rows.join(confirmed.where(F.col("copies") > 1).join(broken, "_root", "left_semi").select("_root", "_shape", "first_id"), ["_root", "_shape"])
+    pairs = found.unionByName(apart.select("_table", "_id", "_root", "first_id"))
+    return pairs.where(F.col("first_id") != F.col("_id")).select(F.col("_table").alias("table_name"), "first_id", F.col("_id").alias("copy_id")).distinct()

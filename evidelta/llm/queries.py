@@ -14,17 +14,13 @@ from evidelta.llm import duplicates, leakage, overlaps, personal, tokens
 from evidelta.session import load, ship_package, spread
 
 
-def _extracted(texts: pd.Series) -> pd.DataFrame:
-    """The compared fields of extractions whose target_authority is one object; nulls otherwise."""
-
-    def one(text: object) -> tuple:
-        root = readable_object(text)
-        target = root.get("target_authority") if root else None
-        if not isinstance(target, dict):
-            return None, None, None
-        return tuple(None if isinstance(v, (dict, list)) else scalar_text(v) for v in (root.get("treatment"), root.get("proposition"), target.get("citation")))
-
-    return pd.DataFrame([one(t) for t in texts], columns=["treatment", "proposition", "citation"])
+def _extracted(challenge: object, text: object) -> tuple:
+    """The compared fields of a prediction; nulls where target_authority isn't one object or the text isn't readable."""
+    root = readable_object(text)
+    target = root.get("target_authority") if root else None
+    if not isinstance(target, dict):
+        return challenge, None, None, None
+    return challenge, scalar_text(root.get("treatment")), scalar_text(root.get("proposition")), scalar_text(target.get("citation"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -36,8 +32,6 @@ def _p1_records(spark: SparkSession, sf: str) -> DataFrame:
     ship_package(spark)
     c = F.col
     heldout = load(spark, sf, "heldout").where(c("item_kind") == "relation")
-    extracted = F.pandas_udf(_extracted, "treatment string, proposition string, citation string")
-    predictions = load(spark, sf, "predictions").select("prediction_id", "challenge_id", extracted("extraction").alias("e"))
     return _union(
         [
             duplicates.records(load(spark, sf, "baseline"), "baseline", "rec_id", [("claim", "leaf", c("claim")), ("citation", "citation", c("authority.citation"))]),
@@ -45,10 +39,11 @@ def _p1_records(spark: SparkSession, sf: str) -> DataFrame:
                 heldout, "heldout", "heldout_id", [("source_citation", "citation", c("source_citation")), ("target_citation", "citation", c("target_citation")), ("anchor", "leaf", c("anchor"))]
             ),
             duplicates.records(
-                predictions,
+                load(spark, sf, "predictions"),
                 "predictions",
                 "prediction_id",
-                [("challenge_id", "exact", c("challenge_id")), ("treatment", "leaf", c("e.treatment")), ("proposition", "leaf", c("e.proposition")), ("citation", "citation", c("e.citation"))],
+                [("challenge_id", "exact", c("challenge_id")), ("treatment", "leaf", c("extraction")), ("proposition", "leaf", None), ("citation", "citation", None)],
+                _extracted,
             ),
         ]
     )
@@ -60,7 +55,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_copies(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each group of records, also those that stand alone or can't be compared, with the number of copies."""
-    return duplicates.groups(_p1_records(spark, sf)).select(F.col("_table").alias("table_name"), "first_id", "copies")
+    return duplicates.groups(_p1_records(spark, sf)).withColumnRenamed("_table", "table_name")
 
 
 def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,8 +99,8 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Each item that leaked, with its suite and split, the number of documents, and the most windows one of them holds."""
-    found = _leaks(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("near").alias("most_windows"))
+    """Each item that leaked word for word, with its suite and split, the number of documents, and the most windows one of them holds."""
+    found = _leaks(spark, sf).where(F.col("windows") > 0).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("windows").alias("most_windows"))
     return load(spark, sf, "eval_items").select("item_id", "suite", "split").join(found, "item_id")
 
 
