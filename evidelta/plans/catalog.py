@@ -1,7 +1,7 @@
 """All queries of the core, and their SQL counterparts."""
 
-from evidelta.plans import quality
+from evidelta.plans import quality, runs
 
-FLAGSHIP = "p2_found"
-QUERIES = {**quality.QUERIES}
-SQL = {**quality.SQL}
+FLAGSHIP = "gate_summary"
+QUERIES = {**runs.QUERIES, **quality.QUERIES}
+SQL = {**runs.SQL, **quality.SQL}
