@@ -2,8 +2,8 @@
 
 The package is split into ``sources`` (readers and writers), ``functions`` (Column
 libraries and Arrow-batched Python functions), ``operators`` (DataFrame to DataFrame),
-``plans`` (named queries and their SQL counterparts), ``streaming`` and ``llm``, which
-holds the operators for language-model training data. ``sources`` and ``streaming`` are still empty.
+``plans`` (named queries and their SQL counterparts), ``streaming`` (the gate on a stream) and ``llm``,
+which holds the operators for language-model training data.
 """
 
 __version__ = "0.1.0"

@@ -92,13 +92,13 @@ def _side(run: DataFrame, key: str, name: str, extra: dict[str, str]) -> DataFra
     return plain.select("case_id", F.struct(*plain.columns[1:], *[c.alias(n) for n, c in ranked.items()]).alias(name))
 
 
-def run_diff(baseline: DataFrame, candidate: DataFrame, key: str = "case_id") -> DataFrame:
+def run_diff(baseline: DataFrame, candidate: DataFrame, key: str = "case_id", how: str = "full_outer") -> DataFrame:
     """One row for each case of either run: ``case_id``, ``classification``, ``blocking``, ``changes``.
 
-    A candidate whose ``world_change`` is set is a WORLD_CHANGE whatever else differs.
+    A candidate whose ``world_change`` is set is a WORLD_CHANGE whatever else differs. ``how``: a join that keeps one side's cases alone.
     """
     world = {"world": "world_change", "why": "world_change_reason"}
-    pairs = _side(baseline, key, "b", {}).join(_side(candidate, key, "c", world), "case_id", "full_outer")
+    pairs = _side(baseline, key, "b", {}).join(_side(candidate, key, "c", world), "case_id", how)
     b, c = F.col("b"), F.col("c")
     alone = lambda kind, before, after: F.array(_finding(kind, F.lit(before), F.lit(after), F.lit(OPEN)))
     changed = F.array(_finding("world_change", F.lit("false"), F.coalesce(c["why"], F.lit("true")), F.lit("WORLD_CHANGE")))

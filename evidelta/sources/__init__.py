@@ -1 +1 @@
-"""Readers and writers."""
+"""JSON lines in and out, and fetching from outside."""

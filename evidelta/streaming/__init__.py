@@ -1 +1 @@
-"""Structured Streaming."""
+"""The gate on a stream."""
