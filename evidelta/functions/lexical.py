@@ -104,7 +104,7 @@ DASHES, QUOTES, DOUBLE_QUOTES, SOFT_HYPHEN = "‐‑‒–—", "‘’", "“
 
 
 def _squeezed(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
+    return F.regexp_replace(F.regexp_replace(text, f"{WHITESPACE}+", " "), "^ | $", "")
 
 
 def plain_quotes(text: Column) -> Column:
@@ -139,7 +139,7 @@ def phrase_contract(source: Column, phrases: Column) -> Column:
 
 
 def _contract(text: Column, phrases: Column) -> Column:
-    required = F.coalesce(F.filter(F.transform(phrases, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p.isNotNull() & (p != "")), F.array().cast("array<string>"))
+    required = F.coalesce(F.filter(F.transform(phrases, strip), lambda p: p.isNotNull() & (p != "")), F.array().cast("array<string>"))
     held = lambda p: F.contains(text, contract_text(p))
     matched, missing = F.filter(required, held), F.filter(required, lambda p: ~held(p))
     support = F.when(F.size(required) == 0, "unknown").when(F.size(missing) == 0, "supported").when(F.size(matched) > 0, "partial").otherwise("unsupported")
@@ -151,6 +151,20 @@ def citation_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
 
 
+#: Characters that show nothing, and volume, reporter and page wherever they stand in a citation's lower-case words; a number of four digits is a year.
+INVISIBLE = r"[\x{00AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]+"
+UNIT = r"\b(\d{1,3}) ((?:(?:[a-z]+|\d(?:d|st|nd|rd|th)) )+)(\d{1,4})\b"
+
+
+def source_key(text: Column) -> Column:
+    """Volume, reporter and page of a citation whatever its spelling and the order of its parts; its letters and digits where they aren't found."""
+    def key(x: Column) -> Column:
+        unit = F.concat_ws("|", F.regexp_extract(x, UNIT, 1), F.replace(F.regexp_extract(x, UNIT, 2), F.lit(" "), F.lit("")), F.regexp_extract(x, UNIT, 3))
+        return F.when(F.regexp_like(x, F.lit(UNIT)), unit).otherwise(F.replace(x, F.lit(" "), F.lit("")))
+
+    return let(F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, INVISIBLE, "")), "[^a-z0-9]+", " ")), key)
+
+
 #: Volume, reporter and page at the start of a citation.
 CITATION = r"^\s*(\d+)\s+((?:[A-Za-z][A-Za-z.']*\s+|\d[a-z]+\s+)+?),?\s*(\d+)\b"
 

@@ -6,32 +6,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidelta.functions import anchors, lexical, relations
-from evidelta.functions.text import WHITESPACE, fold_value
-from evidelta.operators import evaluation, extraction, windows
-from evidelta.session import load, ship_package
+from evidelta.functions.text import WHITESPACE, fold_value, strip
+from evidelta.operators import enrichment, evaluation, extraction, windows
+from evidelta.session import load, ship_package, spread
 
 THRESHOLD, STRICT_THRESHOLD, TOP = 0.34, 0.50, 8
 
 
 def sources(spark: SparkSession, sf: str) -> DataFrame:
-    """One text for each citation (``key``: its letters and digits): that of the document with the least id, as the sources are unique by citation."""
-    docs = load(spark, sf, "documents").where(F.col("source_citation").isNotNull() & F.col("text").isNotNull()).select(lexical.citation_key(F.col("source_citation")).alias("key"), "doc_id", "text")
+    """One text for each citation (``key``: volume, reporter and page): that of the document with the least id, as the sources are unique by citation."""
+    docs = load(spark, sf, "documents").where(F.col("source_citation").isNotNull() & F.col("text").isNotNull()).select(lexical.source_key(F.col("source_citation")).alias("key"), "doc_id", "text")
     return docs.groupBy("key").agg(F.min_by("text", "doc_id").alias("text"))
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "pairs").select("pair_id", "claim_id", "claim", fold_value(F.col("expected_support")).alias("expected"), lexical.citation_key(F.col("citation")).alias("key"))
+    return spread(load(spark, sf, "pairs"), "pair_id").select("pair_id", "claim_id", "claim", fold_value(F.col("expected_support")).alias("expected"), lexical.source_key(F.col("citation")).alias("key"))
 
 
 def tokens_per_doc(spark: SparkSession, sf: str) -> DataFrame:
     """Words, distinct words and distinct word pairs of every document."""
-    words = load(spark, sf, "documents").select("doc_id", lexical.tokens(F.col("text")).alias("w"))
+    words = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", lexical.tokens(F.col("text")).alias("w"))
     return words.select("doc_id", F.size("w").alias("words"), F.size(F.array_distinct("w")).alias("distinct_words"), F.size(lexical.pairs(F.col("w"))).alias("distinct_pairs"))
 
 
 def sentence_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Every window of one or two sentences of every document: its place and its length."""
-    made = load(spark, sf, "documents").select("doc_id", lexical.windows(lexical.sentences(F.col("text"))).alias("w"))
+    made = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", lexical.windows(lexical.sentences(F.col("text"))).alias("w"))
     return made.select("doc_id", F.posexplode("w").alias("place", "t")).select("doc_id", "place", F.char_length("t").alias("characters"))
 
 
@@ -79,7 +79,7 @@ def pair_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def phrase_contracts(spark: SparkSession, sf: str) -> DataFrame:
     """How far the source of each baseline case holds the phrases that its contract requires."""
-    cases = load(spark, sf, "baseline").select("rec_id", lexical.citation_key(F.col("authority.citation")).alias("key"), F.col("context.support_contract.required_phrases").alias("phrases"))
+    cases = load(spark, sf, "baseline").select("rec_id", lexical.source_key(F.col("authority.citation")).alias("key"), F.col("context.support_contract.required_phrases").alias("phrases"))
     judged = cases.join(sources(spark, sf), "key", "left").select("rec_id", lexical.phrase_contract(F.col("text"), F.col("phrases")).alias("c"))
     return judged.select("rec_id", F.when(F.col("c.source_characters") == 0, "unknown").otherwise(F.col("c.support")).alias("support"), F.size("c.matched").alias("matched"), F.size("c.missing").alias("missing"))
 
@@ -95,9 +95,19 @@ def citation_parse(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "pairs").where(F.col("citation").isNotNull()).select("pair_id", "citation").distinct().select("pair_id", "citation", parts.alias("c")).select("pair_id", "citation", "c.volume", "c.page")
 
 
+def enrichment_states(spark: SparkSession, sf: str) -> DataFrame:
+    """What a look-up of each baseline citation among the documents finds: records of each state. A citation of several cases is ambiguous."""
+    docs = load(spark, sf, "documents").where(F.col("source_citation").isNotNull()).select(lexical.source_key(F.col("source_citation")).alias("key"), "case_name")
+    known = docs.groupBy("key").agg(F.count_distinct("case_name").alias("cases"))
+    cited = load(spark, sf, "baseline").select(F.nullif(strip(F.col("authority.citation")), F.lit("")).alias("citation")).select("citation", lexical.source_key(F.col("citation")).alias("key"))
+    status = F.when(F.col("cases").isNull(), 404).when(F.col("cases") > 1, 300).otherwise(200)
+    state = F.when(F.col("citation").isNull(), "NO_CITATION").otherwise(enrichment.lookup_state(status))
+    return cited.join(known, "key", "left").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("records"))
+
+
 def authority_roles(spark: SparkSession, sf: str) -> DataFrame:
     """Whose statement each window of every document is: windows of each role."""
-    made = load(spark, sf, "documents").select(F.explode(lexical.windows(lexical.sentences(F.col("text")))).alias("t"))
+    made = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(F.explode(lexical.windows(lexical.sentences(F.col("text")))).alias("t"))
     return made.select(relations.role(F.col("t")).alias("r")).groupBy("r.role", "r.confidence").agg(F.count(F.lit(1)).alias("windows"), F.sum(F.size("r.cues")).alias("cues"))
 
 
@@ -121,10 +131,23 @@ def identity_transitions(spark: SparkSession, sf: str) -> DataFrame:
     return _role_pairs(spark, sf).select(moved.alias("t")).groupBy("t.classification", "t.reason").agg(F.count(F.lit(1)).alias("claims"))
 
 
+#: A case cited in a sentence: what stands before "v." is the target's name.
+CITED = r"\b([A-Z][a-z]+) v\. [A-Z]"
+
+
+def citing_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """How the sentences of all documents treat the first case that each cites: sentences of each relation, by cues alone and by cues linked to the case."""
+    parts = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(F.explode(lexical.sentences(F.regexp_replace("text", r" v\.", " v_"))).alias("t"))
+    cited = parts.select(F.replace("t", F.lit(" v_"), F.lit(" v.")).alias("t")).withColumn("term", F.regexp_extract("t", CITED, 1)).where(F.col("term") != "")
+    none = F.lit(None).cast("string")
+    made = cited.select(relations.loose_relation(F.col("t"), none, F.col("term"))["relation"].alias("loose"), relations.linked_relation(F.col("t"), none, F.col("term"))["relation"].alias("linked"))
+    return made.groupBy("loose", "linked").agg(F.count(F.lit(1)).alias("sentences"))
+
+
 def _challenges(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "heldout").where(F.col("item_kind") == "relation")
-    picked = rows.select("heldout_id", "challenge_id", "target_citation", "target_term", "anchor", "radius", F.col("expected_relation").alias("expected"), "difficulty", lexical.citation_key(F.col("source_citation")).alias("key"))
-    return picked.join(sources(spark, sf), "key", "left")
+    picked = rows.select("heldout_id", "challenge_id", "target_citation", "target_term", "anchor", "radius", F.col("expected_relation").alias("expected"), "difficulty", lexical.source_key(F.col("source_citation")).alias("key"))
+    return spread(picked, "heldout_id").join(sources(spark, sf), "key", "left")
 
 
 def _related(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +196,7 @@ def _live_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 def _contexts(spark: SparkSession, sf: str) -> DataFrame:
     """Each live challenge with the first place of its target's name in the source, and where that failed."""
-    rows = _live_candidates(spark, sf).withColumn("key", lexical.citation_key(F.col("source_citation"))).join(sources(spark, sf), "key", "left")
+    rows = _live_candidates(spark, sf).withColumn("key", lexical.source_key(F.col("source_citation"))).join(sources(spark, sf), "key", "left")
     text = lexical.plain_print(F.col("text"))
     context = lexical.first_occurrence(text, lexical.plain_print(F.col("target_term")), F.coalesce(F.col("radius"), F.lit(1200)))
     state = F.when(F.col("text").isNull(), "SOURCE_NOT_FOUND").when(context.isNull(), "TARGET_NOT_FOUND").otherwise("CONTEXT_FOUND")
@@ -236,16 +259,18 @@ def _strip_sql(x: str) -> str:
     return f"regexp_replace({x}, '^{WHITESPACE}+|{WHITESPACE}+$', '', 'g')"
 
 
-def _windows_sql(source: str, key: str) -> str:
-    """Windows of one or two sentences of ``source`` (key, text): key, place, t."""
+def _windows_sql(source: str, key: str, most: int = 2) -> str:
+    """Windows of one or two (``most``) sentences of ``source`` (key, text): key, place, t."""
     split = f"string_split(regexp_replace(text, '([.!?]){WHITESPACE}+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
     parts = f"list_filter(list_transform({split}, lambda x: {_strip_sql('x')}), lambda x: x <> '')"
     return f"""(SELECT {key}, CAST(row_number() OVER (PARTITION BY {key} ORDER BY i, n) - 1 AS INTEGER) AS place, t FROM (
-  SELECT {key}, i, n, CASE n WHEN 1 THEN s[i] ELSE s[i] || ' ' || s[i + 1] END AS t FROM (SELECT {key}, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT {key}, {parts} AS s FROM {source} WHERE text IS NOT NULL)), (VALUES (1), (2)) v(n) WHERE i + n - 1 <= len(s)))"""
+  SELECT {key}, i, n, CASE n WHEN 1 THEN s[i] ELSE s[i] || ' ' || s[i + 1] END AS t FROM (SELECT {key}, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT {key}, {parts} AS s FROM {source} WHERE text IS NOT NULL)), (VALUES (1), (2)) v(n) WHERE n <= {most} AND i + n - 1 <= len(s)))"""
 
 
 def _key_sql(x: str) -> str:
-    return f"regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
+    clean = f"trim(regexp_replace(lower(regexp_replace({x}, '{lexical.INVISIBLE}', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+    part = lambda i: f"regexp_extract({clean}, '{lexical.UNIT}', {i})"
+    return f"CASE WHEN regexp_matches({clean}, '{lexical.UNIT}') THEN {part(1)} || '|' || replace({part(2)}, ' ', '') || '|' || {part(3)} ELSE replace({clean}, ' ', '') END"
 
 
 _SCORES = f"""WITH src AS (SELECT {_key_sql("source_citation")} AS key, arg_min(text, doc_id) AS text FROM documents WHERE source_citation IS NOT NULL AND text IS NOT NULL GROUP BY 1),
@@ -267,13 +292,76 @@ _METRICS = f"""{_SCORES}, c AS (SELECT threshold_pct, count(*) FILTER (WHERE exp
 FROM (SELECT *, score >= threshold_pct / 100.0 AS y FROM scored, (VALUES (34), (50)) v(threshold_pct)) GROUP BY threshold_pct), d AS (SELECT *, total - tp - fn - fp AS tn FROM c)
 SELECT threshold_pct, tp, fn, fp, tn, total, {_ratio_sql("tp + tn", "total")} AS accuracy, {_ratio_sql("tp", "tp + fp")} AS precision, {_ratio_sql("tp", "tp + fn")} AS recall, {_ratio_sql("fp", "fp + tn")} AS false_positive_rate, {_ratio_sql("fn", "fn + tp")} AS false_negative_rate FROM d"""
 
+
+
+def _like_sql(x: str, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"regexp_matches({x}, '(?i){quoted}')"
+
+
+def _count_sql(x: str, patterns: list[str]) -> str:
+    """Patterns that have a match."""
+    return "(" + " + ".join(f"CAST({_like_sql(x, p)} AS INTEGER)" for p in patterns) + ")"
+
+
+_NAME = relations.CASE_NAME.replace("'", "''")
+_ROLES = f"""WITH w AS (SELECT {_strip_sql("t")} AS t FROM {_windows_sql("documents", "doc_id")}),
+c AS (SELECT t, {_like_sql("t", relations.SYLLABUS)} AS held, {_count_sql("t", relations.SELF_HOLDING)} AS own, {_count_sql("t", relations.SECONDARY)} AS second, {_count_sql("t", relations.ATTRIBUTION)} AS att, {_like_sql("t", relations.REPORTER)} OR regexp_matches(t, '{_NAME}') AS cited FROM w),
+r AS (SELECT CASE WHEN held THEN 'REPORTER_SYLLABUS_HOLDING' WHEN own > 0 THEN 'COURT_SELF_HOLDING' WHEN second > 0 THEN 'SECONDARY_SOURCE' WHEN cited THEN 'ATTRIBUTED_PRIOR_AUTHORITY' ELSE 'UNKNOWN' END AS role,
+  CASE WHEN held OR own > 0 OR second > 0 OR (att > 0 AND cited) THEN 'high' WHEN cited THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN held THEN 1 WHEN own > 0 THEN own WHEN second > 0 THEN second WHEN att > 0 AND cited THEN att WHEN cited THEN 1 ELSE 0 END AS cues FROM c)
+SELECT role, confidence, count(*) AS windows, CAST(sum(cues) AS BIGINT) AS cues FROM r GROUP BY role, confidence"""
+
+_PRINT = lexical.DASHES + lexical.QUOTES + lexical.DOUBLE_QUOTES + lexical.SOFT_HYPHEN
+
+
+def _squeeze_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '{WHITESPACE}+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def _print_sql(x: str, chars: str, plain: str) -> str:
+    return _squeeze_sql(f"translate({x}, '{chars}', '{plain}')")
+
+
+def _any_sql(x: str, patterns: list[str], target: str | None = None) -> str:
+    def one(p: str) -> str:
+        if target is None:
+            return _like_sql(x, p)
+        before, after = p.split("T", 1) if p.startswith("T") else p.rsplit("T", 1)
+        return f"regexp_matches({x}, '(?i){before}' || {target} || '{after}')"
+
+    return "(" + " OR ".join(map(one, patterns)) + ")"
+
+
+_STRAIGHT = "\'\'\'\'" + '"' * 2  # two quotes, doubled as SQL writes them, and two double ones
+_LOOSE_TEXT = _print_sql("t", lexical.QUOTES + lexical.DOUBLE_QUOTES + lexical.SOFT_HYPHEN, _STRAIGHT)
+_LINKED_TEXT = _print_sql("t", _PRINT, "-----" + _STRAIGHT)
+_LOOSE_CASE = " ".join(f"WHEN {_any_sql('q', ps)} THEN '{k}'" for k, ps in relations.LOOSE_CUES.items())
+_LINKED_LIST = ", ".join(f"CASE WHEN {_any_sql('t', ps, 'target')} THEN '{k}' END" for k, ps in relations.LINKED_CUES.items())
+_CITING = f"""WITH d AS (SELECT doc_id, regexp_replace(text, ' v\\.', ' v_', 'g') AS text FROM documents), w AS (SELECT doc_id, place, replace(t, ' v_', ' v.') AS t FROM {_windows_sql("d", "doc_id", 1)}),
+c AS (SELECT t, regexp_extract(t, '{CITED}', 1) AS term FROM w), e AS (SELECT {_LOOSE_TEXT} AS q, {_LINKED_TEXT} AS t, array_to_string(list_transform(string_split(term, ''), lambda x: x || '\\s*'), '') AS target FROM c WHERE term <> ''),
+f AS (SELECT CASE {_LOOSE_CASE} ELSE 'MENTION_ONLY' END AS loose, list_filter([{_LINKED_LIST}], lambda x: x IS NOT NULL) AS kinds FROM e)
+SELECT loose, CASE len(kinds) WHEN 0 THEN 'MENTION_ONLY' WHEN 1 THEN kinds[1] ELSE 'MIXED_OR_CONFLICTING' END AS linked, count(*) AS sentences FROM f GROUP BY 1, 2"""
+
+
+def _contract_sql(x: str) -> str:
+    for entity, char in lexical.ENTITIES.items():
+        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"lower({_print_sql(x, lexical.DASHES + lexical.QUOTES, '-----' + chr(39) * 4)})"
+
+
+_PHRASES = f"""WITH src AS (SELECT {_key_sql("source_citation")} AS key, arg_min(text, doc_id) AS text FROM documents WHERE source_citation IS NOT NULL AND text IS NOT NULL GROUP BY 1), st AS (SELECT key, {_contract_sql("text")} AS text FROM src),
+b AS (SELECT rec_id, {_key_sql("authority.citation")} AS key, coalesce(list_filter(list_transform(context.support_contract.required_phrases, lambda p: {_strip_sql("p")}), lambda p: p IS NOT NULL AND p <> ''), []) AS ph FROM baseline),
+m AS (SELECT rec_id, len(ph) AS n, coalesce(st.text, '') AS text, len(list_filter(ph, lambda p: contains(coalesce(st.text, ''), {_contract_sql("p")}))) AS k FROM b LEFT JOIN st ON b.key = st.key)
+SELECT rec_id, CASE WHEN text = '' OR n = 0 THEN 'unknown' WHEN k = n THEN 'supported' WHEN k > 0 THEN 'partial' ELSE 'unsupported' END AS support, CAST(k AS INTEGER) AS matched, CAST(n - k AS INTEGER) AS missing FROM m"""
+
+_PARSED = lexical.CITATION.replace("'", "''")
 _LIVE = """live AS (SELECT challenge_id, arg_max(ROW(source_citation, target_citation), ROW(loaded_at, source_case, source_citation, target_case, target_citation, target_term, radius)) AS c FROM candidates WHERE challenge_id IS NOT NULL AND deleted_at IS NULL GROUP BY challenge_id)"""
 
 QUERIES = {
     f.__name__: f
     for f in (
-        tokens_per_doc, sentence_windows, lexical_support_scores, lexical_topk, binary_metrics, score_distribution, model_compare, pair_labels, phrase_contracts, source_fingerprints, citation_parse,
-        authority_roles, role_transitions, identity_transitions, relation_predictions, relation_accuracy, relation_confusion, relation_transitions, blind_packet, challenge_key_sets,
+        tokens_per_doc, sentence_windows, lexical_support_scores, lexical_topk, binary_metrics, score_distribution, model_compare, pair_labels, phrase_contracts, source_fingerprints, citation_parse, enrichment_states,
+        authority_roles, citing_relations, role_transitions, identity_transitions, relation_predictions, relation_accuracy, relation_confusion, relation_transitions, blind_packet, challenge_key_sets,
         extraction_checks, extraction_error_counts, extraction_tallies, extraction_transitions,
     )
 }
@@ -289,5 +377,11 @@ SELECT pair_id, claim_id, CAST(rank AS INTEGER) AS rank, place, sh AS shared, ww
 SELECT CASE WHEN NOT a AND b THEN 'fixed' WHEN a AND NOT b THEN 'broken' WHEN a THEN 'same_correct' ELSE 'same_wrong' END AS outcome, count(*) AS pairs FROM m2 GROUP BY 1""",
     "pair_labels": f"SELECT coalesce(replace(lower({_strip_sql('expected_support')}), ' ', '_'), 'unknown') AS expected, count(*) AS rows, count(DISTINCT {_key_sql('citation')}) AS citations FROM pairs GROUP BY 1",
     "source_fingerprints": "SELECT doc_id, CAST(length(text) AS INTEGER) AS characters, sha256(text) AS sha256 FROM documents",
+    "authority_roles": _ROLES,
+    "citing_relations": _CITING,
+    "phrase_contracts": _PHRASES,
+    "citation_parse": f"SELECT DISTINCT pair_id, citation, try_cast(regexp_extract(citation, '{_PARSED}', 1) AS INTEGER) AS volume, try_cast(regexp_extract(citation, '{_PARSED}', 3) AS INTEGER) AS page FROM pairs WHERE citation IS NOT NULL",
+    "enrichment_states": f"""WITH k AS (SELECT {_key_sql("source_citation")} AS key, count(DISTINCT case_name) AS cases FROM documents WHERE source_citation IS NOT NULL GROUP BY 1), b AS (SELECT nullif({_strip_sql("authority.citation")}, '') AS citation FROM baseline), c AS (SELECT citation, {_key_sql("citation")} AS key FROM b)
+SELECT CASE WHEN citation IS NULL THEN 'NO_CITATION' WHEN cases IS NULL THEN 'NOT_FOUND' WHEN cases > 1 THEN 'AMBIGUOUS' ELSE 'FOUND' END AS state, count(*) AS records FROM c LEFT JOIN k ON c.key = k.key GROUP BY 1""",
     "challenge_key_sets": f"WITH {_LIVE} SELECT DISTINCT challenge_id, 'left_only' AS side FROM live WHERE challenge_id NOT IN (SELECT challenge_id FROM predictions WHERE challenge_id IS NOT NULL) UNION ALL SELECT DISTINCT challenge_id, 'right_only' FROM predictions WHERE challenge_id IS NOT NULL AND challenge_id NOT IN (SELECT challenge_id FROM live)",
 }
