@@ -146,4 +146,14 @@ QUERIES = {
     "p8_redacted": p8_redacted,
     "p8_mention_counts": p8_mention_counts,
 }
-SQL: dict[str, str] = {}
+
+
+def _bag_sql(claim: str) -> str:
+    """A claim's words, repeated ones numbered, so that lists of them intersect as bags do."""
+    words = f"regexp_extract_all(lower({claim}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"list_transform({words}, lambda w, i: w || '#' || len(list_filter(({words})[1:i], lambda x: x = w)))"
+
+
+_OVERLAPS_SQL = f"""WITH h AS (SELECT DISTINCT pair_id, {_bag_sql("claim")} AS bag FROM heldout WHERE item_kind = 'pair' AND pair_id IS NOT NULL AND claim IS NOT NULL), p AS (SELECT DISTINCT pair_id, {_bag_sql("claim")} AS bag FROM pairs WHERE pair_id IS NOT NULL AND claim IS NOT NULL)
+SELECT DISTINCT h.pair_id AS heldout_pair_id, p.pair_id FROM h JOIN p ON len(h.bag) >= {overlaps.LEAST} AND len(p.bag) >= {overlaps.LEAST} AND len(h.bag) * 5 >= len(p.bag) * 4 AND len(p.bag) * 5 >= len(h.bag) * 4 AND len(list_intersect(h.bag, p.bag)) * 5 >= greatest(len(h.bag), len(p.bag)) * 4"""
+SQL = {"p3_found": _OVERLAPS_SQL}
