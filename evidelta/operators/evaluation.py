@@ -6,7 +6,7 @@ nothing and counts as unsupported; null labels are a group of their own; empty t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidelta.functions.lexical import ratio
@@ -67,11 +67,11 @@ def key_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def top_with_margin(rows: DataFrame, group: str, score: Column, order: str, least: float = 0.5, margin: float = 0.15) -> DataFrame:
     """The best row of each group, if its score is at least ``least`` and ``margin`` above the next one; of equal ones the first by ``order``.
 
-    Two rows a group are kept by partial aggregation, so a group of any size is no burden.
+    The two first rows of a group are picked before the shuffle too, so a group of any size is no burden.
     """
-    own = F.struct((-score).alias("s"), F.col(order).alias("o"), F.struct(*rows.columns).alias("row"))
-    first = rows.groupBy(group).agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("_n"))
-    ahead = rows.join(first.select(group, F.col("first.o").alias("_o")), group).where(F.col(order) != F.col("_o")).groupBy(group).agg(F.max(score).alias("second"))
-    both = first.join(ahead, group, "left")
-    lead = -F.col("first.s") - F.coalesce("second", F.lit(0.0))
-    return both.where((-F.col("first.s") >= least) & (lead >= margin)).select("first.row.*", (-F.col("first.s")).alias("score"))
+    ordered = Window.partitionBy(group).orderBy(F.desc("_s"), order)
+    two = rows.withColumn("_s", score).withColumn("_n", F.row_number().over(ordered)).where(F.col("_n") <= 2)
+    row = F.struct(*rows.columns)
+    best = two.groupBy(group).agg(F.max_by(row, -F.col("_n")).alias("row"), F.max("_s").alias("score"), F.min(F.when(F.col("_n") == 2, F.col("_s"))).alias("next"))
+    clear = (F.col("score") >= least) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= margin)
+    return best.where(clear).select("row.*", "score")
