@@ -19,7 +19,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy("key").agg(F.min_by("text", "doc_id").alias("text"))
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+def claim_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return spread(load(spark, sf, "pairs"), "pair_id").select("pair_id", "claim_id", "claim", fold_value(F.col("expected_support")).alias("expected"), lexical.source_key(F.col("citation")).alias("key"))
 
 
@@ -36,7 +36,7 @@ def sentence_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = windows.paired(_pairs(spark, sf), "claim", windows.source_windows(sources(spark, sf), "key", "text"), "key")
+    pairs = windows.paired(claim_pairs(spark, sf), "claim", windows.source_windows(sources(spark, sf), "key", "text"), "key")
     return windows.best_window(pairs).withColumn("score", F.round(F.coalesce(F.col("best.score"), F.lit(0.0)), 6))
 
 
@@ -48,7 +48,7 @@ def lexical_support_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The eight windows of each training pair's source that retrieval ranks highest."""
-    pairs = windows.paired(_pairs(spark, sf), "claim", windows.source_windows(sources(spark, sf), "key", "text"), "key")
+    pairs = windows.paired(claim_pairs(spark, sf), "claim", windows.source_windows(sources(spark, sf), "key", "text"), "key")
     opened = windows.top_windows(pairs, TOP).select("pair_id", "claim_id", F.posexplode("top").alias("rank", "w"))
     return opened.select("pair_id", "claim_id", (F.col("rank") + 1).alias("rank"), "w.place", "w.shared", "w.window_words")
 
@@ -74,7 +74,7 @@ def model_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 def pair_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of each label, with the distinct citations."""
-    return _pairs(spark, sf).groupBy("expected").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("key").alias("citations"))
+    return claim_pairs(spark, sf).groupBy("expected").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("key").alias("citations"))
 
 
 def phrase_contracts(spark: SparkSession, sf: str) -> DataFrame:
