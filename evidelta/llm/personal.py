@@ -152,7 +152,7 @@ def _numbers(text: str, out: list[Span]) -> None:
                 shape = _UPPER.sub("X", shape)
                 cut = ("<" if i and not broken[i - 1] else "") + (">" if j < len(joins) and not broken[j] else "")
                 own = _around(text, start, end)
-                f = ["s=" + shape, "g=" + ",".join(map(str, digits[i : j + 1])), f"n={total}", "cut=" + cut, "s|b=" + shape + own[0], "first=" + shape[:2], *own]
+                f = ["s=" + shape, "g=" + ",".join(map(str, digits[i : j + 1])), f"n={total}", "cut=" + cut, "s|b=" + shape + own[0], "first=" + shape[:2], f"last={digits[j]}" + ("n" if j > i and "\n" in joins[j - 1] else "") + text[end : end + 1], *own]
                 out.append((start, end, "phone", f))
                 out.append((start, end, "id_number", f))
 

@@ -11,19 +11,16 @@ import random
 # Common given names of four languages. Names that are also everyday words are left out.
 GIVEN = frozenset(
     """
-    aaron adam albert alexander alfred alice amanda amy andrew angela anna anthony arthur barbara benjamin beth brian carol
-    caroline catherine charles clara colin daniel david deborah dennis diana donald dora dorothy douglas edward edwin eleanor
-    elizabeth emily emma eric esther ethan eugene felix frances frederick george gerald gregory hannah harold helen henry
-    howard hugh irene isaac jacob james janet jason jeffrey jennifer jessica joan john jonathan joseph joshua judith julia
-    karen kathleen kenneth kevin laura lawrence leonard linda louis lucy margaret maria marion martha martin mary matthew
-    michael michelle nadia nancy nathan nicholas nora oliver olivia pamela patricia paul peter philip rachel raymond rebecca
-    richard robert roger ronald ruth samuel sandra sarah sharon simon sophia stephen susan teresa thomas timothy victor
-    vincent virginia walter wanda william
+    aaron adam albert alexander alfred alice amy andrew anna anthony arthur benjamin beth     charles clara colin daniel david dora edward edwin     elizabeth emily emma eric esther felix george hannah helen henry
+    howard hugh isaac jacob james janet jennifer john jonathan joseph julia
+    karen kevin laura linda louis lucy margaret maria martha martin mary matthew
+    michael michelle nadia nancy nathan nicholas nora oliver olivia paul peter philip rachel rebecca
+    richard robert roger ruth samuel sandra sarah sharon simon sophia stephen susan teresa thomas timothy victor
+    vincent walter wanda william
     amélie antoine bastien benoît camille céline chloé françois gaspard hélène inès jacques julien luc mathieu noémie
     pierre rémi sylvie thibault théo yves zoé
     anke björn dieter friedrich grete günter heike helga jürgen käthe klaus lothar maren matthias petra renate sabine
-    stefan ulrike uwe wolfgang
-    alejandro andrés carmen diego íñigo inés javier joaquín josé lucía marisol miguel pablo pilar rafael raúl rocío tomás
+    stefan uwe     alejandro andrés carmen diego íñigo inés javier joaquín josé lucía marisol miguel pablo pilar rafael raúl rocío tomás
     """.split()
 )
 
@@ -261,7 +258,7 @@ class _Maker:
         for k in range(r.randrange(1, 4)):
             if text:
                 text += joint
-            if joint == "\n" and r.random() < 0.2:
+            if joint == "\n" and r.random() < 0.5:
                 text += f"{k + 1}. "
             for piece, kind in self.sentence():
                 if r.random() < 0.15 and " " in piece:
