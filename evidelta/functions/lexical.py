@@ -133,9 +133,9 @@ def contract_text(text: Column) -> Column:
     return F.lower(_squeezed(F.translate(unescape(text), DASHES + QUOTES, "-----''")))
 
 
-def phrase_contract(source: Column, phrases: Column) -> Column:
-    """How far ``source`` holds the required ``phrases``: a struct of support (supported, partial, unsupported, or unknown without phrases), required, matched, missing, source_sha256 and source_characters."""
-    return let(F.struct(contract_text(F.coalesce(source, F.lit(""))).alias("text"), phrases.alias("phrases")), lambda x: _contract(x["text"], x["phrases"]))
+def phrase_contract(source: Column, phrases: Column, ready: bool = False) -> Column:
+    """How far ``source`` holds the required ``phrases``: a struct of support (supported, partial, unsupported, or unknown without phrases), required, matched, missing, source_sha256 and source_characters. ``ready``: the source is in ``contract_text`` already, as where many contracts share one."""
+    return let(F.struct((F.coalesce(source, F.lit("")) if ready else contract_text(F.coalesce(source, F.lit("")))).alias("text"), phrases.alias("phrases")), lambda x: _contract(x["text"], x["phrases"]))
 
 
 def _contract(text: Column, phrases: Column) -> Column:

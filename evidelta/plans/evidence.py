@@ -80,7 +80,8 @@ def pair_labels(spark: SparkSession, sf: str) -> DataFrame:
 def phrase_contracts(spark: SparkSession, sf: str) -> DataFrame:
     """How far the source of each baseline case holds the phrases that its contract requires."""
     cases = load(spark, sf, "baseline").select("rec_id", lexical.source_key(F.col("authority.citation")).alias("key"), F.col("context.support_contract.required_phrases").alias("phrases"))
-    judged = cases.join(sources(spark, sf), "key", "left").select("rec_id", lexical.phrase_contract(F.col("text"), F.col("phrases")).alias("c"))
+    ready = sources(spark, sf).select("key", lexical.contract_text(F.col("text")).alias("text"))
+    judged = cases.join(ready, "key", "left").select("rec_id", lexical.phrase_contract(F.col("text"), F.col("phrases"), ready=True).alias("c"))
     return judged.select("rec_id", F.when(F.col("c.source_characters") == 0, "unknown").otherwise(F.col("c.support")).alias("support"), F.size("c.matched").alias("matched"), F.size("c.missing").alias("missing"))
 
 
