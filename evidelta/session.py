@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -94,6 +96,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs whose plans nobody holds; else they stay until it happens to collect its garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` with at least as many partitions as the cluster has cores, for costly work row by row.
 
